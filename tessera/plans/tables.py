@@ -196,9 +196,9 @@ where coalesce(n.snap_no, o.snap_no + 1) between 2 and (select max(snap_no) from
   and (o.ebl_id is null or n.ebl_id is null or n.title <> o.title or n.copies is distinct from o.copies)""",
     "p5_found": """
 with o as (select feed_no, file_no, report_date, delivered_at, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload end as o from title_feed),
-f as (select *, row_number() over (partition by feed_no order by report_date) as seq from (
-  select feed_no, file_no, report_date, row_number() over (partition by feed_no, report_date order by max(delivered_at) desc nulls last, file_no desc) as k
-  from o where report_date is not null group by all) where k = 1),
+g as (select feed_no, file_no, report_date, max(delivered_at) as late from o where report_date is not null group by all),
+h as (select *, row_number() over (partition by feed_no, report_date order by late desc nulls last, file_no desc) as k from g),
+f as (select *, row_number() over (partition by feed_no order by report_date) as seq from h where k = 1),
 n as (select feed_no, file_no, o, unnest(json_keys(o)) as name from o where o is not null),
 t as (select n.feed_no, n.file_no, name, json_type(o, '$."' || name || '"') as t, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as k from n),
 d as (select name_key, min(field_key) as field_key from field_names where field_key is not null group by 1),
