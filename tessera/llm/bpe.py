@@ -28,6 +28,9 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# Steps modulo a prime reach every slot; modulo the number of keys some keys would have only a few slots to try.
+PRIME = 2**31 - 1
+
 
 class PerfectHash:
     """Minimal perfect hash of distinct byte strings by hash and displace: each key's bucket has a displacement
@@ -53,7 +56,7 @@ class PerfectHash:
                 continue
             start = 0
             while True:
-                places = (a[of] + (tries + start) * b[of]) % n
+                places = (a[of] + (tries + start) * b[of]) % PRIME % n
                 ordered = np.sort(places, axis=1)
                 good = free[places].all(axis=1) & (np.diff(ordered, axis=1) != 0).all(axis=1)
                 if good.any():
@@ -73,13 +76,13 @@ class PerfectHash:
 
     def _parts(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low, high = (h & np.uint64(0xFFFFFFFF)).astype(np.int64), (h >> np.uint64(32)).astype(np.int64)
-        return (low ^ (high >> 7)) % self.buckets, low % self.size, 1 + high % max(1, self.size - 1)
+        return (low ^ (high >> 7)) % self.buckets, low % PRIME, 1 + high % (PRIME - 1)
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """Number of the only key of the set that each of keys may be."""
         bucket, a, b = self._parts(self.hashes(keys))
         d = self.shift[bucket]
-        return self.key_at[np.where(d < 0, -d - 1, (a + d * b) % self.size)]
+        return self.key_at[np.where(d < 0, -d - 1, (a + d * b) % PRIME % self.size)]
 
 
 class Encoder:
