@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe
+from . import bpe, garble
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with the text as far as it can be restored, and whether all of it could be."""
+    return _repaired(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,33 @@
+"""p8_found and p8_restored over texts garbled here and over the test data."""
+
+from __future__ import annotations
+
+import __spark_entry__ as e
+
+PROPER = "Die Übertragung der Gebührenordnung für Schüler wird geprüft."
+SF = "/root/testdata/sf0.01"
+
+
+def test_garbled_texts_are_found_and_restored(spark, tmp_path) -> None:  # noqa: ANN001
+    wrong = {
+        2: PROPER.encode().decode("cp1252"),
+        3: PROPER.encode().decode("latin-1"),
+        4: f"{PROPER} " * 20 + PROPER.encode().decode("latin-1"),
+    }
+    rows = [(1, PROPER), *wrong.items(), (5, None), (6, ""), (7, "plain")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = e.queries()["p8_found"](spark, str(tmp_path))
+    assert found.dtypes == [("doc_id", "bigint")]
+    assert sorted(r.doc_id for r in found.collect()) == [2, 3, 4]
+    restored = {r.doc_id: (r.restored, r.fixed) for r in e.queries()["p8_restored"](spark, str(tmp_path)).collect()}
+    assert restored == {2: (True, PROPER), 3: (True, PROPER), 4: (True, f"{PROPER} " * 20 + PROPER)}
+
+
+def test_all_documents_are_examined(spark) -> None:  # noqa: ANN001
+    from tessera.llm import garble
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = sorted(r.doc_id for r in docs if garble.examine(r.text)[0])
+    assert want
+    assert sorted(r.doc_id for r in e.queries()["p8_found"](spark, SF).collect()) == want
+    assert sorted(r.doc_id for r in e.queries()["p8_restored"](spark, SF).collect()) == want
