@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, garble
+from . import bpe, garble, mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
+
+
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.repair(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -30,6 +38,6 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _repaired(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 
 ORACLE: dict[str, str] = {}
