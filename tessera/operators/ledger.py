@@ -5,10 +5,12 @@ act on a timeline of their entity and attribute; a late one splits the interval
 ledger row it touches is not overwritten but superseded: its recorded period ends where the period of the
 rows that replace it begins.
 
-Scale. Recorded times have a resolution, one day unless told otherwise, and of the set points of one
-timeline with the same valid date and recorded unit only the last can be seen. They are reduced to it with
-a map-side aggregate before the shuffle, so a timeline never holds more rows than there are pairs of days,
-however many updates one entity receives. A sweep over a timeline writes at most three rows per set point.
+Scale. Timelines are cut into ranges of valid dates that are swept apart, so that an entity with many updates
+is not one task's work. A range needs nothing of later ones but the times at which their first date moves
+nearer, of which there are no more than dates. Where only what is held now matters, recorded times can have a
+resolution: of the set points of one timeline with the same valid date and recorded unit the last alone is
+kept, by a map-side aggregate before the shuffle. A sweep holds the dates of one range and writes at most three
+rows per set point.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ..functions.text import flexible_date, trim_white, whole_number
 ALIVE = "alive"
 OPEN_DATE = "9999-12-31"
 OPEN_TIME = "9999-12-31 00:00:00"
+# Fixed value: the dates of a timeline that are swept together.
+RANGE_DAYS = 64
 LEDGER = "entity {0}, attr string, value string, valid_from date, valid_to date, recorded_from timestamp_ntz, recorded_to timestamp_ntz"
 
 
@@ -51,10 +55,12 @@ def set_points(
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ledger rows of timelines that come one after the other, each in recorded order."""
+    """Ledger rows of ranges of timelines that come one after the other, each in recorded order. A row that closes
+    has no value; its date is where a later range begins from then on."""
     names = ["entity", "attr", "value", "valid_from", "valid_to", "recorded_from", "recorded_to"]
     far_day, far_time = 2932896, 253402214400000000  # the two open ends, as days and microseconds
     timeline: tuple | None = None
+    part, last = None, far_day
     days: list[int] = []
     values: list[str | None] = []
     since: list[int] = []
@@ -69,30 +75,38 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(e, kind), pa.array(a, pa.string()), pa.array(v, pa.string()), day(f), day(t), time(r), time(s)], names)
 
     def finish() -> None:
-        ends = [*days[1:], far_day]
+        ends = [*days[1:], last]
         out.extend((*timeline, v, a, b, r, far_time) for v, a, b, r in zip(values, days, ends, since, strict=True))
         days.clear(), values.clear(), since.clear()
 
     for b in batches:
         kind = b.schema.field(0).type
         ints = lambda k, t, w, b=b: b.column(k).cast(t).cast(w).to_pylist()
-        for entity, attr, day, time, value in zip(
-            b.column(0).to_pylist(), b.column(1).to_pylist(), ints(2, pa.date32(), pa.int32()), ints(3, pa.timestamp("us"), pa.int64()), b.column(4).to_pylist(), strict=True
+        for entity, attr, day, time, value, own, closes in zip(
+            b.column(0).to_pylist(), b.column(1).to_pylist(), ints(2, pa.date32(), pa.int32()), ints(3, pa.timestamp("us"), pa.int64()), *(b.column(k).to_pylist() for k in (4, 5, 6)), strict=True
         ):
-            if (entity, attr) != timeline:
+            if (entity, attr) != timeline or own != part:
                 if timeline:
                     finish()
-                timeline = (entity, attr)
+                timeline, part, last = (entity, attr), own, far_day
+            if closes:
+                if day < last:
+                    if days:
+                        if since[-1] < time:
+                            out.append((*timeline, values[-1], days[-1], last, since[-1], time))
+                        since[-1] = time
+                    last = day
+                continue
             i = bisect_left(days, day)
             if i < len(days) and days[i] == day:
                 if values[i] != value:
                     if since[i] < time:
-                        out.append((*timeline, values[i], day, days[i + 1] if i + 1 < len(days) else far_day, since[i], time))
+                        out.append((*timeline, values[i], day, days[i + 1] if i + 1 < len(days) else last, since[i], time))
                     values[i], since[i] = value, time
                 continue
             if i:
                 if since[i - 1] < time:
-                    out.append((*timeline, values[i - 1], days[i - 1], days[i] if i < len(days) else far_day, since[i - 1], time))
+                    out.append((*timeline, values[i - 1], days[i - 1], days[i] if i < len(days) else last, since[i - 1], time))
                 since[i - 1] = time
             days.insert(i, day), values.insert(i, value), since.insert(i, time)
         yield batch()
@@ -101,21 +115,62 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def ledger(points: DataFrame, unit: str = "day") -> DataFrame:
+def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range of a timeline, of which the dates come from the last to the first with the time at which each
+    was set first: the times at which the first date set in later ranges moves nearer, with that date."""
+    timeline: tuple | None = None
+    part: int | None = None
+    nearest: list[tuple[int, int]] = []  # time and date, times rising and dates falling
+    own: list[tuple[int, int]] = []
+    for b in batches:
+        out: list[tuple] = []
+        for entity, attr, at, day, time in zip(
+            *(b.column(k).to_pylist() for k in range(3)), b.column(3).cast(pa.date32()).cast(pa.int32()).to_pylist(), b.column(4).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), strict=True
+        ):
+            if (entity, attr) != timeline:
+                timeline, part = (entity, attr), None
+                nearest.clear(), own.clear()
+            if at != part:
+                for t, d in own:
+                    while nearest and nearest[-1][0] >= t:
+                        nearest.pop()
+                    nearest.append((t, d))
+                own.clear()
+                out.extend((entity, attr, at, d, t) for t, d in nearest)
+                part = at
+            own.append((time, day))
+        e, a, p, d, t = zip(*out, strict=True) if out else ((),) * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(e, b.schema.field(0).type), pa.array(a, pa.string()), pa.array(p, pa.int32()), pa.array(d, pa.int32()).cast(pa.date32()), pa.array(t, pa.int64()).cast(pa.timestamp("us"))],
+            ["entity", "attr", "part", "valid", "at"],
+        )
+
+
+def ledger(points: DataFrame, unit: str | None = "day") -> DataFrame:
     """Ledger rows (entity, attr, value, valid_from, valid_to, recorded_from, recorded_to), periods half open,
     9999-12-31 for open ends, of set points (entity, attr, valid, recorded, seq, value).
 
     The rows with an open recorded_to are what is held now; those with recorded_from <= t < recorded_to are
-    what was held at t. unit is the resolution of recorded times, a unit of date_trunc. A missing recorded
-    time counts as 0001-01-01. Repeated points change nothing; of points equal in time the one with the larger
-    seq, then the larger value counts. No points give no rows.
+    what was held at t. unit is the resolution of recorded times, a unit of date_trunc; None keeps them whole,
+    and only that gives every superseded row. A missing recorded time counts as 0001-01-01. Repeated points
+    change nothing; of points equal in time the one with the larger seq, then the larger value counts. No points
+    give no rows.
     """
     at = F.coalesce("recorded", F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00")))
-    last = points.withColumn("unit", F.date_trunc(unit, at).cast("timestamp_ntz")).groupBy("entity", "attr", "valid", "unit").agg(
-        F.max(F.struct(at.alias("at"), "seq", "value")).alias("last")
-    )
+    seen = at if unit is None else F.date_trunc(unit, at).cast("timestamp_ntz")
+    last = points.withColumn("unit", seen).groupBy("entity", "attr", "valid", "unit").agg(F.max(F.struct(at.alias("at"), "seq", "value")).alias("last"))
     rows = last.select("entity", "attr", "valid", "unit", F.col("last.value").alias("value"))
-    swept = rows.repartition("entity", "attr").sortWithinPartitions("entity", "attr", "unit", "valid")
+    if unit is None:
+        part = F.floor(F.unix_date("valid") / RANGE_DAYS).cast("int").alias("part")
+        rows = rows.select("*", part, F.lit(False).alias("closes"))
+        first = points.groupBy("entity", "attr", "valid").agg(F.min(at).alias("at")).select("entity", "attr", part, "valid", "at")
+        entity = dict(points.dtypes)["entity"]
+        back = first.repartition("entity", "attr").sortWithinPartitions("entity", "attr", F.desc("valid"))
+        closing = back.mapInArrow(_closing, f"entity {entity}, attr string, part int, valid date, at timestamp_ntz")
+        rows = rows.unionByName(closing.select("entity", "attr", "valid", F.col("at").alias("unit"), F.lit(None).cast("string").alias("value"), "part", F.lit(True).alias("closes")))
+    else:
+        rows = rows.select("*", F.lit(0).alias("part"), F.lit(False).alias("closes"))
+    swept = rows.repartition("entity", "attr", "part").sortWithinPartitions("entity", "attr", "part", "unit", "valid")
     return swept.mapInArrow(_sweep, LEDGER.format(dict(points.dtypes)["entity"]))
 
 

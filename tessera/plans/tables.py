@@ -37,17 +37,17 @@ def _loaded(k: int) -> Query:
     return run
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.ledger(ledger.title_points(table(spark, sf_dir, "title_update")))
+def _ledger(spark: SparkSession, sf_dir: str, unit: str | None = None) -> DataFrame:
+    return ledger.ledger(ledger.title_points(table(spark, sf_dir, "title_update")), unit)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = ledger.versions(_ledger(spark, sf_dir), ["owned", "renewal_date"])
+    held = ledger.versions(_ledger(spark, sf_dir, "day"), ["owned", "renewal_date"])
     return held.select(F.col("entity").alias("ebl_id"), F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
 def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = ledger.versions(_ledger(spark, sf_dir), ["owned", "renewal_date"])
+    held = ledger.versions(_ledger(spark, sf_dir, "day"), ["owned", "renewal_date"])
     return held.select(F.col("entity").alias("ebl_id"), "owned", "renewal_date", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
