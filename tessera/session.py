@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's checkpoint folder and reads it back, so later jobs survive lost executors.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where neither that setting nor a
-    folder set on the context exists (tests, local mode) a temporary one is chosen.
+    The folder is the one named by ``spark.checkpoint.dir``; only in local mode, and where neither that setting nor a
+    folder set on the context exists, a temporary one is chosen. On a cluster a missing folder is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
