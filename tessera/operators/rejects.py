@@ -1,8 +1,8 @@
 """Rows that fail to parse, told apart from loadable rows by a structural index.
 
-One pass over each Arrow batch: byte masks find quotes and delimiters, the parity of the quotes before a
-delimiter within its record tells whether it separates, and the field boundaries that follow give the
-number of fields, the state of the quoting and, with quotes and separators masked out, the unquoted
+One pass over each Arrow batch: the records' ends are the offsets of their array, byte masks find quotes and
+delimiters, the parity of the quotes before a delimiter within its record tells whether it separates, and the field
+boundaries that follow give the number of fields, the state of the quoting and, with quotes and separators masked out, the unquoted
 values as one contiguous Arrow array. Counts, quoting and value checks then work on whole columns.
 Nothing loops over rows, nothing is shuffled, and a batch is all that is held in memory.
 """
@@ -78,16 +78,6 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def record_ends(data: np.ndarray, quote: int | None, inside: bool = False) -> np.ndarray:
-    """Positions of the line feeds that end a record, i.e. those with an even number of quotes before them;
-    inside tells that data begins within quotes, as a later chunk of a file may."""
-    ends = np.flatnonzero(data == 10)
-    if quote is None:
-        return ends
-    quotes = np.flatnonzero(data == quote)
-    return ends[(np.searchsorted(quotes, ends) + inside) % 2 == 0]
-
-
 def structural_index(texts: pa.Array, delimiter: str, quote: str | None) -> Index:
     """Index of an array of records. A null counts as an empty record; callers look at nulls themselves."""
     data, off = _bytes(texts)
@@ -216,18 +206,36 @@ def parse_records(lines: DataFrame, text: str, fmt: LineFormat, keep: list[str],
     return lines.select(*[F.col(k) for k in keep], F.col(text)).mapInArrow(run, schema)
 
 
+def _held(c: Column, kind: str) -> Column:
+    """Whether the field's type holds a valid value exactly; true for an empty one."""
+    to = KINDS[kind][1]
+    if to not in ("bigint", "decimal(18,4)"):
+        return F.lit(True)
+    exact = c.try_cast(to).isNotNull()
+    if to != "bigint":
+        exact &= c.rlike(r"^[+-]?[0-9]+(\.[0-9]{1,4}0*)?\z")
+    return (c == "") | exact
+
+
 def _typed(c: Column, kind: str) -> Column:
     to = KINDS[kind][1]
-    c = F.when(c != "", c)
+    value = F.when(c != "", c)
     if to == "boolean":
-        return F.lower(c) == "true"
-    return c if to == "string" else c.try_cast(to)
+        return F.lower(value) == "true"
+    return value if to == "string" else F.when(_held(c, kind), value.try_cast(to))
 
 
 def load_records(parsed: DataFrame, fmt: LineFormat, keep: list[str]) -> DataFrame:
-    """The valid records of parse_records as typed columns, named as in the format; empty values are null."""
-    cells = [_typed(F.col("fields")[k], f.kind).alias(f.name) for k, f in enumerate(fmt.fields)]
-    return parsed.filter(F.col("reason").isNull()).select(*keep, *cells)
+    """The valid records of parse_records as typed columns, named as in the format; empty values are null.
+
+    Whole numbers beyond bigint and decimals beyond decimal(18,4) are valid but don't fit; their columns are null and
+    unheld has them as text, one line of name=value for each. It is null where every value is held.
+    """
+    at = [(F.col("fields")[k], f) for k, f in enumerate(fmt.fields)]
+    cells = [_typed(c, f.kind).alias(f.name) for c, f in at]
+    lines = [F.when(~_held(c, f.kind), F.concat(F.lit(f"{f.name}="), c)) for c, f in at if KINDS[f.kind][1] in ("bigint", "decimal(18,4)")]
+    unheld = F.concat_ws("\n", *lines)
+    return parsed.filter(F.col("reason").isNull()).select(*keep, *cells, F.when(unheld != "", unheld).alias("unheld"))
 
 
 def _fields(text: str) -> tuple[Field, ...]:

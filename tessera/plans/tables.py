@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import WHITE
 from ..operators import drift, ledger, rejects, snapdiff, wide
 from ..session import table
+from .tables_sql import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,7 @@ def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("entity").alias("ebl_id"), "owned", "renewal_date", F.col("valid_from").cast("string").alias("valid_from"), F.col("valid_to").cast("string").alias("valid_to"))
 
 
+# The SQL names the same time.
 AS_OF = "2021-07-01 00:00:00"
 
 
@@ -77,8 +78,11 @@ P4_COLUMNS = ["title", "ebl_id", "copies", "owned", "renewal_date", "purchase_pr
 
 
 def p4_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record, with all attributes: those named have columns, the others come in the map more."""
-    return wide.wide(table(spark, sf_dir, "gdm_statement"), columns=P4_COLUMNS).select("record_id", *P4_COLUMNS, F.map_keys("more").alias("others")).withColumn("others", F.coalesce(F.size("others"), F.lit(0)).cast("bigint"))
+    """One row per record, with all attributes: those named have columns, all else comes in others, a line of name=value
+    for each in the order of the names."""
+    rows = wide.wide(table(spark, sf_dir, "gdm_statement"), columns=P4_COLUMNS)
+    entries = F.transform(F.array_sort(F.map_entries("more")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("record_id", *P4_COLUMNS, F.array_join(entries, "\n").alias("others"))
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,121 +108,3 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found, "p4_wide": p4_wide, "p4_table": p4_table,
     "p5_found": p5_found, "p5_table": p5_table, "p5_suggestions": p5_suggestions,
 }
-
-_WS = "".join(f"chr({ord(c)})||" for c in WHITE).rstrip("|")
-_TRIM = lambda c: f"trim({c}, {_WS})"
-_DATE = lambda c: f"(regexp_full_match({c}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') and {c} not like '0000%' and try_cast({c} as date) is not null)"
-
-
-def _check(fmt: rejects.LineFormat, v: str) -> str:
-    """SQL condition: each of the list's stripped values is allowed."""
-    out = []
-    for k, f in enumerate(fmt.fields):
-        c = f"{v}[{k + 1}]"
-        pattern = rejects.KINDS[f.kind][0]
-        one = _DATE(c) if f.kind == "date" else f"regexp_full_match({c}, '{pattern[1:-1]}')" if pattern else "true"
-        out.append(f"({c} <> '' and {one})" if f.required else f"({c} = '' or {one})")
-    return " and ".join(out)
-
-
-def _cells(fmt: rejects.LineFormat, v: str) -> str:
-    out = []
-    for k, f in enumerate(fmt.fields):
-        c, to = f"nullif({v}[{k + 1}], '')", rejects.KINDS[f.kind][1]
-        out.append((f"lower({c}) = 'true'" if to == "boolean" else c if to == "string" else f"try_cast({c} as {to})") + f" as {f.name}")
-    return ", ".join(out)
-
-
-_FREE, _QUOTED = '[^",]*', '"(?:[^"]|"")*"'
-_SPLIT = f"""
-lic as (select line_id, c0 as t, list_transform(string_split(c0, chr(9)), lambda x: trim(x, ' ' || chr(13))) as v
-  from lic_dmp_v1 where line_no >= 6 or line_no is null),
-lic2 as (select line_id, v, case when t is null or len(v) <> 22 then 'columns' when not ({_check(rejects.LICENCE_LIST, "v")}) then 'value' end as reason from lic),
-rep as (select line_id, raw_line as t, regexp_full_match(raw_line, '(?:{_FREE}|{_QUOTED})(?:,(?:{_FREE}|{_QUOTED}))*') as sound,
-  regexp_extract_all(',' || raw_line, ',({_QUOTED}|{_FREE})', 1) as q from title_report_01 where line_no >= 2 or line_no is null),
-rep1 as (select *, list_transform(q, lambda x: trim(case when x like '"%' then replace(x[2:-2], '""', '"') else x end, ' ')) as v from rep),
-rep2 as (select line_id, v, case when not sound then 'quoting' when t is null or len(v) <> 34 then 'columns'
-  when not ({_check(rejects.TITLE_REPORT, "v")}) then 'value' end as reason from rep1)
-"""
-
-
-def _history_sql(where: str) -> str:
-    t = _TRIM
-    return f"""
-with u as (select {t("ebl_id")} as i, op, effective_date as e, received_at as r, update_id as s, lower({t("owned")}) as o, {t("renewal_date")} as d from title_update {where}),
-v as (select try_cast(i as bigint) as ebl_id, op, e, r, s,
-    case when o in ('true', '1') then 'true' when o in ('false', '0') then 'false' when o = '' then '' end as o,
-    case when d = '' then '' when regexp_full_match(d, '[0-9]{{2}}\\.[0-9]{{2}}\\.[0-9]{{4}}') then d[7:10] || '-' || d[4:5] || '-' || d[1:2]
-      when regexp_full_match(d, '[0-9]{{8}}') then d[1:4] || '-' || d[5:6] || '-' || d[7:8] else d end as d
-  from u where regexp_full_match(i, '[+-]?[0-9]+') and e is not null and op in ('U', 'D')),
-w as (select ebl_id, op, e, r, s, o, case when d = '' or {_DATE("d")} then d end as d,
-    sum(case when op = 'D' then 1 else 0 end) over (partition by ebl_id order by e, r nulls first, s rows unbounded preceding) as life from v where ebl_id is not null),
-x as (select ebl_id, e, op, row_number() over (partition by ebl_id, e order by r desc nulls last, s desc) as late,
-    last_value(case when op = 'U' then o end ignore nulls) over f as o, last_value(case when op = 'U' then d end ignore nulls) over f as d
-  from w window f as (partition by ebl_id, life order by e, r nulls first, s rows unbounded preceding)),
-y as (select ebl_id, e, case when op = 'U' then coalesce(o, '') || '|' || coalesce(d, '') end as st from x where late = 1),
-z as (select *, lag(st) over (partition by ebl_id order by e) as before from y),
-c as (select ebl_id, st, e, lead(e) over (partition by ebl_id order by e) as n from z where st is distinct from before)
-select ebl_id, /*cols*/ cast(e as varchar) as valid_from, coalesce(cast(n as varchar), '9999-12-31') as valid_to from c where st is not null"""
-
-
-_STATE = "nullif(split_part(st, '|', 1), '') as owned, nullif(split_part(st, '|', 2), '') as renewal_date,"
-_TITLE = f"coalesce(nfc_normalize(regexp_replace({_TRIM('title')}, '[' || {_WS} || ']+', ' ', 'g')), '')"
-
-_CELLS = f"""
-with s as (select *, row_number() over (partition by coalesce(nullif(lower(uuid), ''), 'row ' || row_id) order by loaded_at desc nulls last, row_id desc) as k from gdm_statement),
-t as (select record_id, regexp_extract(predicate, '([^#/:]*)$', 1) as p, coalesce(ord, 1) as o, row_id, {_TRIM("object_value")} as v
-  from s where k = 1 and subject_kind = 'RESOURCE' and subject_id = record_id and object_kind = 'LITERAL'),
-a as (select record_id, nullif(trim(regexp_replace(lower(case when contains(p, '%') then url_decode(replace(p, '+', ' ')) else replace(p, '+', ' ') end), '[^a-z0-9]+', '_', 'g'), '_'), '') as attr, o, row_id, v from t),
-r as (select * from a where attr is not null and v <> '' and case when attr in ('ebl_id', 'ezb_id', 'copies', 'ampelfarbe', 'erstes_jahr') then regexp_full_match(v, '[+-]?[0-9]+')
-  when attr = 'purchase_price' then regexp_full_match(v, '[+-]?[0-9]+(\\.[0-9]+)?') when attr in ('owned', 'visible') then lower(v) in ('true', 'false')
-  when attr in ('renewal_date', 'pubdate') then {_DATE("v")} else true end),
-f as (select * from (select *, row_number() over (partition by record_id, attr order by o, row_id) as c from r) where c = 1)
-"""
-
-ORACLE: dict[str, str] = {
-    "p1_found": f"with {_SPLIT} select 'lic_dmp_v1' as src, line_id, reason from lic2 where reason is not null union all select 'title_report_01', line_id, reason from rep2 where reason is not null",
-    "p1_licences": f"with {_SPLIT} select line_id, {_cells(rejects.LICENCE_LIST, 'v')} from lic2 where reason is null",
-    "p1_report": f"with {_SPLIT} select line_id, {_cells(rejects.TITLE_REPORT, 'v')} from rep2 where reason is null",
-    "p2_found": _history_sql(""),
-    "p2_history": _history_sql("").replace("/*cols*/", _STATE),
-    "p2_as_of": _history_sql(f"where received_at is null or date_trunc('day', received_at) <= timestamp '{AS_OF}'").replace("/*cols*/", _STATE),
-    "p3_found": f"""
-with e as (select snap_no, try_cast({_TRIM("ebl_id")} as bigint) as ebl_id, {_TITLE} as title,
-    case when regexp_full_match({_TRIM("copies")}, '[+-]?[0-9]+') then try_cast({_TRIM("copies")} as bigint) end as copies,
-    row_number() over (partition by snap_no, try_cast({_TRIM("ebl_id")} as bigint) order by loaded_at desc nulls last, row_id desc) as k
-  from title_snapshot where regexp_full_match({_TRIM("ebl_id")}, '[+-]?[0-9]+')),
-f as (select * from e where k = 1 and ebl_id is not null)
-select cast(coalesce(n.snap_no, o.snap_no + 1) as integer) as snap_no, coalesce(n.ebl_id, o.ebl_id) as ebl_id,
-  case when o.ebl_id is null then 'added' when n.ebl_id is null then 'removed' else 'changed' end as change_kind
-from f n full join f o on n.snap_no = o.snap_no + 1 and n.ebl_id = o.ebl_id
-where coalesce(n.snap_no, o.snap_no + 1) between 2 and (select max(snap_no) from title_snapshot)
-  and (o.ebl_id is null or n.ebl_id is null or n.title <> o.title or n.copies is distinct from o.copies)""",
-    "p5_found": """
-with o as (select feed_no, file_no, report_date, delivered_at, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload end as o from title_feed),
-g as (select feed_no, file_no, report_date, max(delivered_at) as late from o where report_date is not null group by all),
-h as (select *, row_number() over (partition by feed_no, report_date order by late desc nulls last, file_no desc) as k from g),
-f as (select *, row_number() over (partition by feed_no order by report_date) as seq from h where k = 1),
-n as (select feed_no, file_no, o, unnest(json_keys(o)) as name from o where o is not null),
-t as (select n.feed_no, n.file_no, name, json_type(o, '$."' || name || '"') as t, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as k from n),
-d as (select name_key, min(field_key) as field_key from field_names where field_key is not null group by 1),
-x as (select t.feed_no, t.file_no, f.seq, coalesce(d.field_key, t.k) as field_key, min(name) as name,
-    bool_or(t = 'BOOLEAN') as b, bool_or(t in ('BIGINT', 'UBIGINT', 'HUGEINT')) as i, bool_or(t = 'DOUBLE') as c, bool_or(t not in ('BOOLEAN', 'BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE', 'NULL')) as s
-  from t join f using (feed_no, file_no) left join d on d.name_key = t.k group by all),
-y as (select *, case when s or (b and (i or c)) then 'string' when b then 'boolean' when c then 'decimal' when i then 'integer' end as kind from x),
-z as (select *, lag(seq) over w as held, lag(name) over w as was, lead(seq) over w as nxt, last_value(kind ignore nulls) over (w rows between unbounded preceding and 1 preceding) as before
-  from y window w as (partition by feed_no, field_key order by seq))
-select feed_no, file_no, field_key, 'added' as change_kind from z where seq > 1 and held is distinct from seq - 1
-union all select feed_no, file_no, field_key, 'renamed' from z where held = seq - 1 and was <> name
-union all select feed_no, file_no, field_key, 'retyped' from z where kind <> before
-union all select z.feed_no, f.file_no, field_key, 'removed' from z join f on f.feed_no = z.feed_no and f.seq = z.seq + 1 where nxt is distinct from z.seq + 1""",
-    "p4_found": _CELLS + "select record_id, attr, row_id from f",
-    "p4_wide": _CELLS
-    + "select record_id, "
-    + ", ".join(
-        f"max(case when attr = '{c}' then {x} end) as {c}"
-        for c in P4_COLUMNS
-        for x in ({"ebl_id": "try_cast(v as bigint)", "ezb_id": "try_cast(v as bigint)", "copies": "try_cast(v as bigint)", "purchase_price": "try_cast(v as decimal(18,4))", "owned": "lower(v) = 'true'", "renewal_date": "try_cast(v as date)", "pubdate": "try_cast(v as date)"}.get(c, "v"),)
-    )
-    + f", count(*) filter (attr not in ({', '.join(repr(c) for c in P4_COLUMNS)})) as others from f group by record_id",
-}

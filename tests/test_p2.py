@@ -58,10 +58,6 @@ def test_updates_of_one_day_are_superseded_and_later_ones_unknown(spark, tmp_pat
 
 
 def test_as_of_knows_what_was_received_by_then(spark) -> None:  # noqa: ANN001
-    from oracle import connect
+    from oracle import compare
 
-    sf = "/root/testdata/sf0.01"
-    sql = tables._history_sql(f"where received_at is null or received_at <= timestamp '{tables.AS_OF}'").replace("/*cols*/", tables._STATE)
-    want = sorted(map(str, connect(sf).execute(sql).fetchall()))
-    got = sorted(str(tuple(r)) for r in e.queries()["p2_as_of"](spark, sf).collect())
-    assert got == want
+    assert compare(spark, "p2_as_of", "/root/testdata/sf0.01") == ""
