@@ -5,7 +5,9 @@ form of every character that the texts' languages use is computed beforehand. An
 all of them in one pass over a text. A garbled form may also be proper text (a capital before a quotation
 mark, a foreign letter), so each hit is held against its surroundings: the word it stands in must be one that
 proper text cannot have, and its repair one that it can. Only the spans that pass are replaced; text between
-them stays untouched. Documents are independent of each other: nothing is shuffled or collected.
+them stays untouched. A text of which every letter belongs to one alphabet, and stands where letters of it stand, is
+correct, whichever of the world's languages it is in; and single bytes taken for others count only in texts with words
+that no language has. Documents are independent of each other: nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -31,6 +33,14 @@ ALPHABETS = {
     "pt": "àáâãçéêíóôõú",
     "bg": "абвгдежзийклмнопрстуфхцчшщъьюя",
 }
+# The letters beyond ASCII of more alphabets, by which correct texts in other languages are known.
+OTHER_ALPHABETS = (
+    "áéíñóúüªº", "àçèéíïòóúü", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž", "áéíóöőúüű", "ăâîșțşţ", "çğıöşüâîûİ", "åäöæøéèüàóô",
+    "áðéíóúýþæö", "ąčęėįšųūž", "āčēģīķļņšūž", "äõöüšž", "čćđšž", "āēīōū", "âêîôûŵŷ", "ċġħżàèìòù", "ĉĝĥĵŝŭ", "àèéìíîòóùú",
+    "áéëèïóöüĳ", "áéíóúñẽĩõũ", "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "абвгдеёжзійклмнопрстуўфхцчшыьэюя",
+    "абвгдђежзијклљмнњопрстћуфхцчџш", "абвгдѓежзѕијклљмнњопрстќуфхцчџш", "αάβγδεέζηήθιίϊΐκλμνξοόπρσςτυύϋΰφχψωώ",
+    "àáâãèéêìíòóôõùúýăđĩũơư" + "".join(map(chr, range(0x1EA1, 0x1EFA, 2))),
+)
 # Letters of names, which stand in texts of any language.
 NAME_LETTERS = "áéöü"
 MARKS = "‘’“”„–—…«»€£§°©®™·¿¡½¼¾²³±×\xa0\xad"
@@ -45,6 +55,10 @@ OPENING, CLOSING = "„“«‘‚", "”“»’…"
 WESTERN = ("cp1252", "latin-1", "iso8859-15", "mac_roman", "cp850", "cp437", "cp1250", "iso8859-2", "cp852", "cp1254", "cp1257", "mac_latin2")
 CYRILLIC = ("cp1251", "iso8859-5", "koi8-r", "cp866", "mac_cyrillic")
 ALL = WESTERN + CYRILLIC
+# Encodings that only UTF-8 is taken for; of the last ones a letter's two bytes are one or two characters.
+ONLY_UTF8 = ("cp1253", "cp1255", "cp1256", "cp1258", "iso8859-7", "iso8859-9", "iso8859-16", "cp737", "cp857", "cp874", "koi8-u")
+MULTI_BYTE = ("shift_jis", "gbk", "big5", "euc_kr")
+ORDER = {e: k for k, e in enumerate((*ALL, *ONLY_UTF8, *MULTI_BYTE))}
 #: How often a misreading may have happened on top of another, and as which encodings beyond the first time.
 DEPTH, AGAIN = 3, ("cp1252", "latin-1")
 
@@ -63,6 +77,11 @@ def _tables(encoding: str) -> tuple[tuple[str, ...], dict[str, int]]:
 
 def misread(text: str, true: str, taken: str) -> str | None:
     """What text becomes when its bytes are taken for another encoding; None if it has no bytes in the true one."""
+    if taken in MULTI_BYTE:
+        try:
+            return text.encode(true).decode(taken)
+        except UnicodeError:
+            return None
     if true == "utf-8":
         data = text.encode()
     else:
@@ -88,6 +107,10 @@ class Patterns:
                     level = {misread(f, "utf-8", w) for f in level for w in {taken, *AGAIN}}
                     for f in level:
                         self._add(f, ("utf-8", taken, times), c)
+            for taken in (*ONLY_UTF8, *MULTI_BYTE):
+                form = misread(c, "utf-8", taken)
+                if form and not form.isascii() and form[0] != c:
+                    self._add(form, ("utf-8", taken, 1), c)
             for true in ALL:
                 if c in _tables(true)[1]:
                     for taken in ALL:
@@ -185,6 +208,9 @@ _WORD = re.compile("[^ \t\r\n]+")
 def _plausible(text: str, start: int, form: str, original: str) -> bool:
     """Whether a hit of two or more characters can be what it looks like."""
     before, earlier = text[start - 1 : start] if start else "", text[start - 2 : start - 1] if start > 1 else ""
+    if kind(form[0]) == "O":
+        after = text[start + len(form) : start + len(form) + 1]
+        return any(x.isascii() and x.isalpha() for x in (before, after)) and "O" not in (before and kind(before), after and kind(after))
     capital = lambda c: c.isupper() and kind(c) in "ANC" and c not in "ÂÃÄÅĂĹÐÑРСГВ"
     small = original.isalpha() and original.islower()
     if small and capital(before) and (capital(earlier) or not earlier.isalpha() and len(form) == 2 and form[1] in CLOSING):
@@ -205,7 +231,7 @@ def _hits(text: str) -> tuple[list[tuple[int, str, Pair, str]], bool]:
     single = False
     for end, form in p.automaton.iter(text):
         start = end - len(form) + 1
-        if len(form) == 1:
+        if len(form) == 1 and kind(form) != "O":
             single = True
         else:
             for pair, o in p.forms[form]:
@@ -215,7 +241,7 @@ def _hits(text: str) -> tuple[list[tuple[int, str, Pair, str]], bool]:
     covered: Counter[Pair] = Counter()
     for _, form, pair, _ in long:
         covered[pair] += len(form)
-    long.sort(key=lambda h: (-covered[h[2]], -len(h[1]), ALL.index(h[2][1]), h[0]))
+    long.sort(key=lambda h: (-covered[h[2]], -len(h[1]), ORDER[h[2][1]], h[0]))
     taken = bytearray(len(text))
     out = []
     for h in long:
@@ -319,6 +345,40 @@ def _mend_words(text: str, pair: Pair) -> str:
     return "".join(lines)
 
 
+@lru_cache(1)
+def _alphabets() -> tuple[frozenset[str], ...]:
+    both = lambda a: frozenset(a + "".join(c.upper() for c in a))
+    return tuple(both(a) for a in (*OTHER_ALPHABETS, *ALPHABETS.values()))
+
+
+_MARK = frozenset(MARKS + "µ‰†‡•←→↑↓≤≥≠∞′″№−‐‑\u2009\u200a\u202f")
+_INSIDE = re.compile("[^\\W\\d_][§¿¡¼½¾²³±×„“”«»€£°µ‰†‡•][^\\W\\d_]|[^\\W\\d_][§¿¡¼½¾¹²³±]")
+_MIXED = re.compile("[A-Za-zÀ-ɏ][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-zÀ-ɏ]")
+
+
+def _odd_case(word: str) -> bool:
+    """A capital beyond ASCII after a small letter, or a small one after two capitals."""
+    for i in range(1, len(word)):
+        c = word[i]
+        if c.isascii():
+            continue
+        if c.isupper() and word[i - 1].islower():
+            return True
+        if c.islower() and i > 1 and word[i - 2 : i].isupper() and word[i - 2 : i].isalpha():
+            return True
+    return False
+
+
+def fits_one_alphabet(text: str) -> bool:
+    """Whether all letters of text beyond ASCII are of one alphabet, in a case that words have, and its signs stand
+    between words."""
+    beyond = {c for c in unicodedata.normalize("NFC", text) if not c.isascii()}
+    letters = {c for c in beyond if c not in _MARK}
+    if not any(letters <= a for a in _alphabets()):
+        return False
+    return not _INSIDE.search(text) and not _MIXED.search(text) and not any(map(_odd_case, _WORD.findall(text)))
+
+
 def examine(text: str | None) -> tuple[bool, bool, str | None, str | None]:
     """Whether text is garbled anywhere, whether all of it could be restored, the text with what could be, and the
     misreadings, as true>taken, in the order of their names. A null text is not garbled."""
@@ -327,6 +387,8 @@ def examine(text: str | None) -> tuple[bool, bool, str | None, str | None]:
     hits, single = _hits(text)
     if not hits and not single:
         return False, False, text, None
+    if (fits_one_alphabet(text) and all(h[1].isalpha() for h in hits)) or (not hits and not any(strangeness(w) == 2 for w in _strange(text))):
+        return False, False, text, None
     # Forms of several characters first, then single ones; or single ones alone, where that leaves less.
     best: tuple[int, str, set[Pair]] | None = None
     for first in (hits, []) if hits else ([],):
