@@ -119,10 +119,13 @@ class Patterns:
                             self._add(form, (true, taken, 1), c)
         for lost in ["\ufffd", *map(chr, range(0x80, 0xA0))]:  # of these no original is left
             self.forms.setdefault(lost, [])
+        # Single characters are only told to be there; what they may stand for is looked at word by word.
         self.automaton = ahocorasick.Automaton()
-        for form in self.forms:
+        lone = [f for f in self.forms if len(f) == 1 and kind(f) != "O"]
+        for form in self.forms.keys() - set(lone):
             self.automaton.add_word(form, form)
         self.automaton.make_automaton()
+        self.single = re.compile(f"[{re.escape(''.join(lone))}]")
 
     def _add(self, form: str, pair: tuple[str, str, int], original: str) -> None:
         of = self.forms.setdefault(form, [])
@@ -205,6 +208,13 @@ Pair = tuple[str, str, int]
 _WORD = re.compile("[^ \t\r\n]+")
 
 
+def _beyond(text: str) -> list[str]:
+    """The words that aren't ASCII."""
+    return [w for w in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii()]
+
+
+
+
 def _plausible(text: str, start: int, form: str, original: str) -> bool:
     """Whether a hit of two or more characters can be what it looks like."""
     before, earlier = text[start - 1 : start] if start else "", text[start - 2 : start - 1] if start > 1 else ""
@@ -222,18 +232,20 @@ def _plausible(text: str, start: int, form: str, original: str) -> bool:
     return True
 
 
+# No form has ASCII in it, and those of one character are of East Asian scripts.
+_FORM_RUN = re.compile("[\x80-\U0010ffff]{2,}|[\u2e80-\U0010ffff]")
+
+
 def _hits(text: str) -> tuple[list[tuple[int, str, Pair, str]], bool]:
     """Hits (place, form, pair, original) of two or more characters that stand the check, and whether there are any
     others. Of those that overlap, the pair that covers most of the text goes first, then the longer form."""
     p = patterns()
     long: list[tuple[int, str, Pair, str]] = []
     doubted: list[tuple[int, str, Pair, str]] = []
-    single = False
-    for end, form in p.automaton.iter(text):
-        start = end - len(form) + 1
-        if len(form) == 1 and kind(form) != "O":
-            single = True
-        else:
+    single = p.single.search(text) is not None
+    for run in _FORM_RUN.finditer(text):
+        for end, form in p.automaton.iter(run[0]):
+            start = run.start() + end - len(form) + 1
             for pair, o in p.forms[form]:
                 (long if _plausible(text, start, form, o) else doubted).append((start, form, pair, o))
     if not long:
@@ -326,7 +338,15 @@ def _replace(text: str, hits: list[tuple[int, str, Pair, str]]) -> str:
 
 
 def _strange(text: str) -> list[str]:
-    return [w for w in dict.fromkeys(_WORD.findall(text)) if strangeness(w)]
+    return [w for w in dict.fromkeys(_beyond(text)) if strangeness(w)]
+
+
+_AFTER = re.compile(r"[^\W\d_][€£¿§]")
+
+
+def _undeniable(text: str) -> bool:
+    """Whether it has a word that no language has, or a sign where one ends that only begins words and numbers."""
+    return any(strangeness(w) == 2 for w in _beyond(text)) or _AFTER.search(text) is not None
 
 
 def _mend_words(text: str, pair: Pair) -> str:
@@ -352,7 +372,7 @@ def _alphabets() -> tuple[frozenset[str], ...]:
 
 
 _MARK = frozenset(MARKS + "µ‰†‡•←→↑↓≤≥≠∞′″№−‐‑\u2009\u200a\u202f")
-_INSIDE = re.compile("[^\\W\\d_][§¿¡¼½¾²³±×„“”«»€£°µ‰†‡•][^\\W\\d_]|[^\\W\\d_][§¿¡¼½¾¹²³±]")
+_INSIDE = re.compile(r"[^\W\d_][§¿¡¼½¾²³±×„“”«»€£°µ‰†‡•][^\W\d_]|[^\W\d_][§¿¡¼½¾¹²³±€£]")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ͱ-ӿ]|[Ͱ-ӿ][A-Za-zÀ-ɏ]")
 
 
@@ -376,6 +396,10 @@ def fits_one_alphabet(text: str) -> bool:
     letters = {c for c in beyond if c not in _MARK}
     if not any(letters <= a for a in _alphabets()):
         return False
+    # A few letters of another script in a text in Latin letters are no words of it.
+    foreign = sum("Ͱ" <= c <= "ӿ" for c in text)
+    if foreign and 8 * foreign < sum(c.isascii() and c.isalpha() for c in text):
+        return False
     return not _INSIDE.search(text) and not _MIXED.search(text) and not any(map(_odd_case, _WORD.findall(text)))
 
 
@@ -387,7 +411,7 @@ def examine(text: str | None) -> tuple[bool, bool, str | None, str | None]:
     hits, single = _hits(text)
     if not hits and not single:
         return False, False, text, None
-    if (fits_one_alphabet(text) and all(h[1].isalpha() for h in hits)) or (not hits and not any(strangeness(w) == 2 for w in _strange(text))):
+    if (not hits and not _undeniable(text)) or (all(h[1].isalpha() for h in hits) and fits_one_alphabet(text)):
         return False, False, text, None
     # Forms of several characters first, then single ones; or single ones alone, where that leaves less.
     best: tuple[int, str, set[Pair]] | None = None
