@@ -1 +1 @@
-
+"""Statements that arrive as a stream."""
