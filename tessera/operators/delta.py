@@ -192,7 +192,7 @@ def _same_nodes(leaf_changes: DataFrame) -> DataFrame:
     """Pairs of blank nodes along the chains of matched leaves, one to one: the first partner of each, if it is mutual."""
     pairs = leaf_changes.filter(F.col("state").isin(EXACT, MODIFICATION) & (F.size("old.chain") > 0))
     both = F.explode(F.arrays_zip(F.col("old.chain").alias("o"), F.col("new.chain").alias("n"))).alias("x")
-    flat = pairs.select(F.col("old.model").alias("model"), F.col("old.record_id").alias("record_id"), both).select("model", "record_id", F.col("x")["0"].alias("old_node"), F.col("x")["1"].alias("new_node"))
+    flat = pairs.select(F.col("old.model").alias("model"), F.col("old.record_id").alias("record_id"), both).select("model", "record_id", F.col("x.o").alias("old_node"), F.col("x.n").alias("new_node"))
     flat = flat.filter("old_node is not null and new_node is not null").distinct()
     first = flat.groupBy("model", "record_id", "new_node").agg(F.min("old_node").alias("old_node"))
     return first.groupBy("model", "record_id", "old_node").agg(F.min("new_node").alias("new_node"))

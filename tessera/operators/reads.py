@@ -85,7 +85,7 @@ def nested(statements: DataFrame, parts: Column, order: list[str], to: str = "st
 
     A record is one row in the result, so its statements meet in one task, whatever their number.
     """
-    keyed = F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(f"_{c}") if c != "stmt_key" else F.col(c).alias("_key") for c in order], parts.alias("_s"))
+    keyed = F.struct(*[F.col(c).alias(f"_{c}") for c in order], parts.alias("_s"))
     rows = statements.groupBy("model", "record_id").agg(F.array_sort(F.collect_list(keyed)).alias("_all"))
     return rows.select("model", "record_id", F.transform("_all", lambda x: x["_s"]).alias(to))
 

@@ -49,7 +49,7 @@ class Store:
         finally:
             out.close()
         context = self.jvm.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
-        overwrite = self.spark._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         overwrite[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(temporary, self._path("_current"), overwrite)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,21 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and reads it back, so later jobs survive lost executors.
-
-    The folder is the one named by ``spark.checkpoint.dir``; only in local mode, and where neither that setting nor a
-    folder set on the context exists, a temporary one is chosen. On a cluster a missing folder is an error.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session's context. It is the one named by ``spark.checkpoint.dir``; only in local mode,
+    and where neither that setting nor a folder set on the context exists, a temporary one is chosen. On a cluster a
+    missing folder is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so later jobs survive lost executors."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the shared one."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
