@@ -153,11 +153,11 @@ def changes(old: DataFrame, new: DataFrame, schema: ContentSchema = ContentSchem
     """
     both = durable(sides(old, new))
     paths = durable(traverse.blank_paths(both, SIDES))
-    located = traverse.located(both, SIDES, paths)
+    # Four steps read it; each would join the paths again.
+    located = durable(traverse.located(both, SIDES, paths))
     rows = leaves_of(located.filter(F.col("object_kind") != BNODE), schema)
     keys = [*SIDES, "model", "record_id"]
     if schema.common:
-        rows = durable(rows)
         ents = durable(entities(rows, schema))
         same = same_subgraphs(located, rows, ents, paths, schema)
         rows = rows.join(ents.select(*keys, "entity", F.concat_ws("#", F.to_json("keys"), F.col("ent_ord").cast("string")).alias("ctx")), [*keys, "entity"], "left")
@@ -230,10 +230,10 @@ def has_changes(found: Changes) -> bool:
     return not found.rows.filter(F.col("state") != EXACT).isEmpty()
 
 
-def changeset(found: Changes) -> DataFrame:
-    """Changes for people: model, record_id, state, step, predicate, old and new numbers and values."""
+def changeset(rows: DataFrame) -> DataFrame:
+    """The rows of Changes for people: model, record_id, state, step, predicate, old and new numbers and values."""
     value = lambda c: F.coalesce(F.col(c)["object_value"], F.col(c)["object_id"])
-    return found.rows.select(
+    return rows.select(
         "model", "record_id", F.col("state").alias("delta_state"), F.col("step").alias("match_step"), F.coalesce("old.predicate", "new.predicate").alias("predicate"),
         F.col("old.stmt_uuid").alias("old_stmt_uuid"), F.col("new.stmt_uuid").alias("new_stmt_uuid"), value("old").alias("old_value"), value("new").alias("new_value"),
     )
@@ -261,16 +261,21 @@ def insertions(found: Changes, strict: bool = False) -> DataFrame:
     return rows.withColumn("stmt_uuid", key_number(F.col("stmt_key")))
 
 
-def apply(history: DataFrame, found: Changes, version: int, strict: bool = False) -> DataFrame:
+def at_version(version: int | Column) -> Column:
+    """A version as a column; one that is given as a column may depend on the model."""
+    return (F.lit(version) if isinstance(version, int) else version).cast("int")
+
+
+def apply(history: DataFrame, found: Changes, version: int | Column, strict: bool = False) -> DataFrame:
     """history after the changes at version: ended rows have it as valid_to, new rows as valid_from. Only open rows are
     touched."""
     ends = closings(found, strict).distinct().withColumn("_ends", F.lit(True))
     kept = history.join(ends, "stmt_key", "left")
-    kept = kept.withColumn("valid_to", F.when(F.col("_ends") & (F.col("valid_to") == OPEN_END), F.lit(version)).otherwise(F.col("valid_to"))).select(STATEMENT_COLUMNS)
+    kept = kept.withColumn("valid_to", F.when(F.col("_ends") & (F.col("valid_to") == OPEN_END), at_version(version)).otherwise(F.col("valid_to"))).select(STATEMENT_COLUMNS)
     return kept.unionByName(stamped(insertions(found, strict), version))
 
 
-def put(history: DataFrame, new: DataFrame, version: int, schema: ContentSchema = ContentSchema()) -> tuple[DataFrame, Changes]:
+def put(history: DataFrame, new: DataFrame, version: int | Column, schema: ContentSchema = ContentSchema()) -> tuple[DataFrame, Changes]:
     """history after a delivery of whole records: records that it lacks, or that have no open statement left, are
     inserted, those it has are matched, and those that the delivery lacks stay as they are."""
     open_ = history.filter(F.col("valid_to") == OPEN_END)
@@ -279,16 +284,16 @@ def put(history: DataFrame, new: DataFrame, version: int, schema: ContentSchema
     return apply(history, found, version).unionByName(stamped(fresh, version)), found
 
 
-def put_by_key(history: DataFrame, new: DataFrame, version: int) -> DataFrame:
+def put_by_key(history: DataFrame, new: DataFrame, version: int | Column) -> DataFrame:
     """As put() for sources whose blank nodes keep their names: statements are the same if their keys are. One join."""
     open_ = history.filter(F.col("valid_to") == OPEN_END)
     fresh = dedupe_against(once(new), history)
     gone = open_.join(new.select("model", "record_id").distinct(), ["model", "record_id"], "left_semi").select("stmt_key").join(new.select("stmt_key"), "stmt_key", "left_anti")
     kept = history.join(gone.withColumn("_ends", F.lit(True)), "stmt_key", "left")
-    kept = kept.withColumn("valid_to", F.when(F.col("_ends") & (F.col("valid_to") == OPEN_END), F.lit(version)).otherwise(F.col("valid_to"))).select(STATEMENT_COLUMNS)
+    kept = kept.withColumn("valid_to", F.when(F.col("_ends") & (F.col("valid_to") == OPEN_END), at_version(version)).otherwise(F.col("valid_to"))).select(STATEMENT_COLUMNS)
     return kept.unionByName(stamped(fresh, version))
 
 
-def append(history: DataFrame, new: DataFrame, version: int) -> DataFrame:
+def append(history: DataFrame, new: DataFrame, version: int | Column) -> DataFrame:
     """history with the statements of new that it has no open row of; nothing ends."""
     return history.select(STATEMENT_COLUMNS).unionByName(stamped(dedupe_against(once(new), history), version))

@@ -39,7 +39,7 @@ def deprecate_model(statements: DataFrame, model: str, version: int) -> DataFram
     return end(statements, F.col("model") == model, version)
 
 
-def deprecate_records(statements: DataFrame, records: DataFrame, version: int) -> DataFrame:
+def deprecate_records(statements: DataFrame, records: DataFrame, version: int | Column) -> DataFrame:
     """Ends all of the listed records (model, record_id); unknown ones are skipped."""
     listed = records.select("model", "record_id").distinct().withColumn("_hit", F.lit(True))
     return end(statements.join(listed, ["model", "record_id"], "left"), F.coalesce("_hit", F.lit(False)), version).drop("_hit")

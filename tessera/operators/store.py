@@ -110,30 +110,23 @@ class Store:
         history = self.statements(models)
         latest = {m: state["versions"].get(m, 0) for m in models}
         version = {m: max(1, v + 1 if versioning else v) for m, v in latest.items()}
-        parts, changed = [], {}
-        for m in models:  # a write names few models
-            mine, fresh = history.filter(F.col("model") == m), new.statements.filter(F.col("model") == m)
-            if versioning:
-                after, _ = delta.put(mine, fresh, version[m], schema or delta.ContentSchema())
-            else:
-                after = delta.append(mine, fresh, version[m])
-            if deprecate_missing:
-                own = self.spark.createDataFrame([(m,)], "model string")
-                after = maintain.deprecate_records(after, maintain.missing_records(after, self.types(), new.statements, deprecate_missing, own), version[m])
-            parts.append(after.select(STATEMENT_COLUMNS))
-        if not parts:
+        if not models:
             return {}
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
+        at = F.create_map(*[x for m, v in version.items() for x in (F.lit(m), F.lit(v))])[F.col("model")]
+        rows = delta.put(history, new.statements, at, schema or delta.ContentSchema())[0] if versioning else delta.append(history, new.statements, at)
+        if deprecate_missing:
+            # The types of the delivery tell nothing of what it lacks, so those stored are enough.
+            own = self.spark.createDataFrame([(m,) for m in models], "model string")
+            rows = maintain.deprecate_records(rows, maintain.missing_records(rows, self.types(), new.statements, deprecate_missing, own), at)
+        rows = rows.select(STATEMENT_COLUMNS)
         types = self.types().filter(F.col("model").isin(models)).unionByName(new.types).dropDuplicates(["model", "node_id", "type_uri"])
         seq_state = self.current()
         seq = seq_state["seq"] + 1
         folders = {"statement": self._write("statement", rows, seq), "node_type": self._write("node_type", types, seq)}
         written = self.spark.read.schema(STATEMENT).parquet(*folders["statement"].values()) if folders["statement"] else rows.limit(0)
-        at = F.create_map(*[x for m, v in version.items() for x in (F.lit(m), F.lit(v))])
-        touched = written.filter((F.col("valid_from") == at[F.col("model")]) | (F.col("valid_to") == at[F.col("model")])).groupBy("model").count().collect()
-        changed = {r[0]: version[r[0]] for r in touched}
+        touched = written.filter((F.col("valid_from") == at) | (F.col("valid_to") == at)).groupBy("model").count().collect()
+        # What ended at the version a write without versioning takes place at may have ended before; nothing new is no change.
+        changed = {r[0]: version[r[0]] for r in touched if version[r[0]] != latest[r[0]]}
         names = uris.dictionary(new.statements.select("predicate"), "predicate", self.prefixes()).collect()
         for name in TABLES:
             seq_state[name] = {**seq_state[name], **folders[name]}

@@ -38,11 +38,27 @@ def _shop(spark: SparkSession, sf_dir: str, version: int = 1, load: str = "shop"
     return normalize.normalize(triplify.shop(spark, sf_dir, version), load, distinct=False)
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A table that many queries read, written to the checkpoint folder once in a session, as a store would have it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = durable(make(spark, sf_dir))
+    return _KEPT[key]
+
+
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The first delivery at version 1 and the second, by keys, at 2; and the types of both."""
+    types = _shop(spark, sf_dir, 1).types.unionByName(_shop(spark, sf_dir, 2).types).dropDuplicates(["model", "node_id", "type_uri"])
+    return _kept(spark, sf_dir, "history", _make_history), types
+
+
+def _make_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = _shop(spark, sf_dir, 1), _shop(spark, sf_dir, 2)
     empty = normalize.stamped(one.statements, 1)
-    return delta.put_by_key(empty, two.statements, 2), one.types.unionByName(two.types).dropDuplicates(["model", "node_id", "type_uri"])
+    return delta.put_by_key(empty, two.statements, 2)
 
 
 def _digest(statements: DataFrame) -> DataFrame:
@@ -287,22 +303,9 @@ def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _shop(spark, sf_dir, 1, "v1").statements, _shop(spark, sf_dir, 2, "v2").statements
 
 
-_KEPT: dict[tuple[str, str], delta.Changes] = {}
-
-
-def _changes(spark: SparkSession, sf_dir: str) -> delta.Changes:
-    """The changes between the deliveries. A dozen queries read them, so they are written to the checkpoint folder once in
-    a session; bench.py times their making with make_changes()."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _KEPT:
-        found = make_changes(spark, sf_dir)
-        _KEPT[key] = delta.Changes(durable(found.rows), found.nodes)
-    return _KEPT[key]
-
-
-def make_changes(spark: SparkSession, sf_dir: str) -> delta.Changes:
-    one, two = _two(spark, sf_dir)
-    return delta.changes(one, two, ITEMS)
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes between the deliveries; the first query that asks for them bears their making."""
+    return _kept(spark, sf_dir, "changes", lambda s, d: delta.changes(*_two(s, d), ITEMS).rows)
 
 
 def delta_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,9 +324,9 @@ def changeset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changeset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements closed and begun, moved ones among them, and those that stay."""
-    found = _changes(spark, sf_dir)
+    rows = _changes(spark, sf_dir)
     kind = F.when(delta.moved(), "moved").otherwise(F.lower("state"))
-    return _tally(found.rows.withColumn("kind", kind), "kind")
+    return _tally(rows.withColumn("kind", kind), "kind")
 
 
 def delta_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,14 +336,14 @@ def delta_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = []
     for side, name in ((0, "old"), (1, "new")):
         mine = delta.sides(one, two).filter(F.col("side") == side).select("stmt_key").withColumn("k", F.lit(0))
-        states = found.rows.filter(F.col(name).isNotNull()).select(F.col(name)["stmt_key"].alias("stmt_key")).withColumn("k", F.lit(1))
+        states = found.filter(F.col(name).isNotNull()).select(F.col(name)["stmt_key"].alias("stmt_key")).withColumn("k", F.lit(1))
         per = mine.unionByName(states).groupBy("stmt_key").agg(F.sum("k").alias("states"))
         out.append(per.agg(F.lit(name).alias("side"), F.count("*").alias("statements"), F.count_if(F.col("states") != 1).alias("wrong")))
     return out[0].unionByName(out[1])
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.changeset(_changes_flat(spark, sf_dir))
+    return delta.changeset(_changes_flat(spark, sf_dir).rows)
 
 
 def _changes_flat(spark: SparkSession, sf_dir: str) -> delta.Changes:

@@ -13,14 +13,14 @@ LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:[^\s.]+(?:\.+[^\s.]+)*|"(?
 
 def unescaped(value: Column) -> Column:
     """Text of a literal: \\t, \\n, \\r, \\", \\\\ and \\u escapes become what they stand for. Doubled backslashes are set
-    aside first, so that one before a letter is no escape of it."""
+    aside first, so that one before a letter is no escape of it. Escapes of no character stay as they are."""
     v = F.replace(value, F.lit("\\\\"), F.lit("\x00"))
     for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\\'", "'"), ("\\b", "\b"), ("\\f", "\f")):
         v = F.replace(v, F.lit(a), F.lit(b))
     parts = F.split(v, r"(?=\\u[0-9A-Fa-f]{4})|(?=\\U[0-9A-Fa-f]{8})")
-    point = lambda h: F.decode(F.unhex(h), "UTF-32BE")
-    one = lambda p: F.when(p.rlike(r"^\\u[0-9A-Fa-f]{4}"), F.concat(point(F.concat(F.lit("0000"), F.substring(p, 3, 4))), F.substring(p, 7, 1 << 30))).when(
-        p.rlike(r"^\\U[0-9A-Fa-f]{8}"), F.concat(point(F.substring(p, 3, 8)), F.substring(p, 11, 1 << 30))
+    point = lambda h: F.decode(F.unhex(h), "UTF-32")
+    one = lambda p: F.when(p.rlike(r"^\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}"), F.concat(point(F.concat(F.lit("0000"), F.substring(p, 3, 4))), F.substring(p, 7, 1 << 30))).when(
+        p.rlike(r"^\\U(?!0000[dD][89a-fA-F])00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"), F.concat(point(F.substring(p, 3, 8)), F.substring(p, 11, 1 << 30))
     ).otherwise(p)
     v = F.when(v.contains("\\u") | v.contains("\\U"), F.array_join(F.transform(parts, one), "")).otherwise(v)
     return F.replace(v, F.lit("\x00"), F.lit("\\"))
