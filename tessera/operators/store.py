@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import uris
 from ..model import MODEL_VERSION, NODE_TYPE, STATEMENT, STATEMENT_COLUMNS
 from . import delta, maintain
-from .normalize import Normalized
+from .normalize import Normalized, once, stamped
 
 TABLES = {"statement": STATEMENT, "node_type": NODE_TYPE}
 
@@ -113,7 +113,12 @@ class Store:
         if not models:
             return {}
         at = F.create_map(*[x for m, v in version.items() for x in (F.lit(m), F.lit(v))])[F.col("model")]
-        rows = delta.put(history, new.statements, at, schema or delta.ContentSchema())[0] if versioning else delta.append(history, new.statements, at)
+        if not any(m in state["statement"] for m in models):
+            rows = stamped(once(new.statements), at)
+        elif versioning:
+            rows = delta.put(history, new.statements, at, schema or delta.ContentSchema())[0]
+        else:
+            rows = delta.append(history, new.statements, at)
         if deprecate_missing:
             # The types of the delivery tell nothing of what it lacks, so those stored are enough.
             own = self.spark.createDataFrame([(m,) for m in models], "model string")
