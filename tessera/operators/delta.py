@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import joined, key_number, statement_key
 from ..functions.paths import common_of, split_path
 from ..model import BNODE, OPEN_END, STATEMENT_COLUMNS
-from ..session import durable
+from ..session import stored
 from . import traverse
 from .normalize import dedupe_against, once, stamped
 
@@ -151,14 +151,14 @@ def changes(old: DataFrame, new: DataFrame, schema: ContentSchema = ContentSchem
     Without a schema every path through blank nodes is matched as a leaf path. Statements of records that only one side
     has are not looked at: put() inserts new ones and keeps missing ones. Empty sides give no rows.
     """
-    both = durable(sides(old, new))
-    paths = durable(traverse.blank_paths(both, SIDES))
+    both = stored(sides(old, new))
+    paths = stored(traverse.blank_paths(both, SIDES))
     # Four steps read it; each would join the paths again.
-    located = durable(traverse.located(both, SIDES, paths))
+    located = stored(traverse.located(both, SIDES, paths))
     rows = leaves_of(located.filter(F.col("object_kind") != BNODE), schema)
     keys = [*SIDES, "model", "record_id"]
     if schema.common:
-        ents = durable(entities(rows, schema))
+        ents = stored(entities(rows, schema))
         same = same_subgraphs(located, rows, ents, paths, schema)
         rows = rows.join(ents.select(*keys, "entity", F.concat_ws("#", F.to_json("keys"), F.col("ent_ord").cast("string")).alias("ctx")), [*keys, "entity"], "left")
         rows = rows.join(same, [*keys, "root"], "left")
@@ -169,7 +169,7 @@ def changes(old: DataFrame, new: DataFrame, schema: ContentSchema = ContentSchem
     value = F.coalesce("object_value", "object_id")
     exact = _met(rows.select(*SIDES, joined(F.col("here"), value, F.col("pair")).alias("k"), F.struct(*S_COLUMNS, F.col("pair").isNotNull().alias("sub")).alias("s")))
     label = F.when(F.col("old.sub"), "subgraph_exact").when(F.col("old.role") == "key", "key").when(F.col("old.role").isin("flat", "value"), F.concat("old.role", F.lit("_exact"))).otherwise("leaf_exact")
-    exact = durable(exact)
+    exact = stored(exact)
     hit = exact.filter("old is not null and new is not null").select(label.alias("step"), F.lit(EXACT).alias("state"), "old", "new")
     left = exact.filter("old is null or new is null").select(F.when(F.col("old").isNotNull(), 0).otherwise(1).alias("side"), F.coalesce("old", "new").alias("s"))
     near = _met(left.withColumn("k", F.col("s.here")))
@@ -177,9 +177,9 @@ def changes(old: DataFrame, new: DataFrame, schema: ContentSchema = ContentSchem
     step = F.when(role.isin("flat", "value"), F.concat(role, F.lit("_modified"))).when(role == "key", "key").otherwise("leaf_modified")
     state = F.when(F.col("old").isNull(), ADDITION).when(F.col("new").isNull(), DELETION).otherwise(MODIFICATION)
     leaf_changes = hit.unionByName(near.select(step.alias("step"), state.alias("state"), "old", "new"))
-    leaf_changes = durable(leaf_changes)
+    leaf_changes = stored(leaf_changes)
 
-    nodes = durable(_same_nodes(leaf_changes))
+    nodes = stored(_same_nodes(leaf_changes))
     leaf_changes = _demoted(leaf_changes, nodes)
     edges = located.filter(F.col("object_kind") == BNODE).withColumns({"role": F.lit("edge"), "here": F.lit("")})
     edge_changes = _edges(edges.select(*SIDES, F.struct(*S_COLUMNS).alias("s")), nodes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import blank_id, key_number, statement_key, uuid_or_hash
 from ..model import BNODE, DEFAULT_MODEL, DEPTH, LITERAL, NODE_TYPE_COLUMNS, OPEN_END, RDF_TYPE, RESOURCE, STATEMENT_COLUMNS, TYPE_BNODE, TYPE_RESOURCE
-from ..session import durable
+from ..session import stored
 
 
 def object_kind(value: Column, uri: Column) -> Column:
@@ -114,13 +114,13 @@ def owners(statements: DataFrame, depth: int = DEPTH) -> DataFrame:
     Blank nodes that hang from no resource, by a cycle or a missing link, own themselves. A longer chain than depth is
     an error.
     """
-    links = durable(statements.filter(F.col("object_kind") == BNODE).select("model", "subject_kind", "subject_id", F.col("object_id").alias("node")).distinct())
+    links = stored(statements.filter(F.col("object_kind") == BNODE).select("model", "subject_kind", "subject_id", F.col("object_id").alias("node")).distinct())
     level = links.filter(F.col("subject_kind") == RESOURCE).groupBy("model", "node").agg(F.min("subject_id").alias("owner"))
     inner = links.filter(F.col("subject_kind") == BNODE).select("model", F.col("subject_id").alias("over"), "node")
-    found = level = durable(level)
+    found = level = stored(level)
     for _ in range(depth):
         below = inner.join(level.withColumnRenamed("node", "over"), ["model", "over"]).groupBy("model", "node").agg(F.min("owner").alias("owner"))
-        level = durable(below.join(found.select("model", "node"), ["model", "node"], "left_anti"))
+        level = stored(below.join(found.select("model", "node"), ["model", "node"], "left_anti"))
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -131,6 +131,6 @@ def owners(statements: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out.withColumn("record_id", F.when(F.col("subject_kind") == RESOURCE, F.col("subject_id")).otherwise(F.coalesce("owner", "subject_id"))).drop("_m", "_n", "owner")
 
 
-def dedupe_against(fresh: DataFrame, stored: DataFrame) -> DataFrame:
-    """Statements of fresh that stored has no open row of."""
-    return fresh.join(stored.filter(F.col("valid_to") == OPEN_END).select("stmt_key"), "stmt_key", "left_anti")
+def dedupe_against(fresh: DataFrame, held: DataFrame) -> DataFrame:
+    """Statements of fresh that held has no open row of."""
+    return fresh.join(held.filter(F.col("valid_to") == OPEN_END).select("stmt_key"), "stmt_key", "left_anti")

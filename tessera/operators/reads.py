@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import split_path
 from ..model import BNODE, DEPTH, LITERAL, OPEN_END, RDF_TYPE, RESOURCE
-from ..session import durable
+from ..session import stored
 
 
 def as_of(statements: DataFrame, version: int | Column) -> DataFrame:
@@ -48,12 +48,12 @@ def described_by_links(statements: DataFrame, records: DataFrame, depth: int = D
     statements are joined once, at the end. A longer chain than depth is an error.
     """
     links = statements.filter((F.col("object_kind") == BNODE) & F.col("object_id").isNotNull()).select("model", F.col("subject_id").alias("over"), F.col("object_id").alias("node")).distinct()
-    links = durable(links)
-    level = durable(records.select("model", F.col("record_id").alias("root"), F.col("record_id").alias("node")).distinct())
+    links = stored(links)
+    level = stored(records.select("model", F.col("record_id").alias("root"), F.col("record_id").alias("node")).distinct())
     found = level.withColumn("level", F.lit(0))
     for k in range(1, depth + 2):
         below = level.withColumnRenamed("node", "over").join(links, ["model", "over"]).select("model", "root", "node").distinct()
-        level = durable(below.join(found.select("model", "root", "node"), ["model", "root", "node"], "left_anti"))
+        level = stored(below.join(found.select("model", "root", "node"), ["model", "root", "node"], "left_anti"))
         if level.isEmpty():
             break
         if k > depth:

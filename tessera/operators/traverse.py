@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BNODE, DEPTH
-from ..session import durable
+from ..session import stored
 
 STEP = "array<struct<p:string,o:bigint>>"
 
@@ -26,7 +26,7 @@ def blank_paths(statements: DataFrame, extra: list[str] | None = None, depth: in
     links = statements.filter((F.col("object_kind") == BNODE) & F.col("object_id").isNotNull()).select(
         *own, "record_id", F.col("subject_id").alias("over"), F.col("object_id").alias("node"), step.alias("step"), place.alias("place")
     )
-    links = durable(links)
+    links = stored(links)
     level = links.filter(F.col("over") == F.col("record_id")).select(
         *own, "record_id", "node", F.lit(1).alias("level"), F.array("node").alias("chain"), F.array("step").alias("path"), F.array("place").alias("places")
     )
@@ -38,7 +38,7 @@ def blank_paths(statements: DataFrame, extra: list[str] | None = None, depth: in
             *own, "record_id", "node", F.lit(k).alias("level"), F.concat("chain", F.array("node")).alias("chain"),
             F.concat("path", F.array("step")).alias("path"), F.concat("places", F.array("place")).alias("places"),
         )
-        level = durable(level)
+        level = stored(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
@@ -101,7 +101,7 @@ def subtree_hashes(statements: DataFrame, extra: list[str] | None = None, paths:
     per level. Children enter sorted, so the order of rows does not matter; orders count, positions don't."""
     own = [*(extra or []), "model", "record_id"]
     paths = blank_paths(statements, extra) if paths is None else paths
-    levels = durable(paths.select(*own, "node", "level").distinct())
+    levels = stored(paths.select(*own, "node", "level").distinct())
     deepest = levels.agg(F.max("level")).first()[0] or 0
     rows = statements.filter("subject_id <> record_id").select(
         *own, F.col("subject_id").alias("node"), F.concat_ws("|", "predicate", F.coalesce("ord", F.lit(1)).cast("string"), "object_kind").alias("edge"),
@@ -117,5 +117,5 @@ def subtree_hashes(statements: DataFrame, extra: list[str] | None = None, paths:
             parts = here.join(out.select(*own, F.col("node").alias("child"), F.col("hash").alias("h0")), [*own, "child"], "left").withColumn("h", F.when(F.col("child").isNull(), F.col("value")).otherwise(F.col("h0")))
         made = parts.groupBy(*own, "node").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("|", "edge", F.coalesce("h", F.lit("")))))), 256).alias("hash"))
         # A level's digests are read by the next one and by the caller.
-        out = durable(made) if out is None else durable(made.unionByName(out))
+        out = stored(made) if out is None else stored(made.unionByName(out))
     return out if out is not None else levels.select(*own, "node", F.lit("").alias("hash"))

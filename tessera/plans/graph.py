@@ -12,7 +12,7 @@ from ..functions import ids, paths, ranges, uris
 from ..model import BNODE, LITERAL, MODEL_VERSION, OPEN_END, PATH_SEP, RAW_COLUMNS, RESOURCE, STATEMENT_COLUMNS
 from ..operators import delta, maintain, normalize, reads, traverse
 from ..operators.store import Store, ping
-from ..session import durable, scratch, table
+from ..session import stored, scratch, table
 from ..sinks import rdf, statement_json, xml
 from ..sources import triplify
 from ..streaming.upsert import upsert
@@ -33,22 +33,25 @@ def _gdm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[c if c in rows.columns else none.alias(c) for c in RAW_COLUMNS], "row_id", "load_no")
 
 
-def _shop(spark: SparkSession, sf_dir: str, version: int = 1, load: str = "shop") -> normalize.Normalized:
-    # The shop's rows are distinct by how they are made.
-    return normalize.normalize(triplify.shop(spark, sf_dir, version), load, distinct=False)
-
-
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A table that many queries read, written to the checkpoint folder once in a session, as a store would have it."""
+    """A table that many queries read, written to the shared folder once in a session, as a store would have it."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
-        _KEPT[key] = durable(make(spark, sf_dir))
+        _KEPT[key] = stored(make(spark, sf_dir))
     return _KEPT[key]
 
 
+def _shop(spark: SparkSession, sf_dir: str, version: int = 1, load: str = "shop") -> normalize.Normalized:
+    """A delivery's statements and types; the first query that asks for them bears their making."""
+    # The shop's rows are distinct by how they are made.
+    n = normalize.normalize(triplify.shop(spark, sf_dir, version), load, distinct=False)
+    keep = lambda what, df: _kept(spark, sf_dir, f"{what} {version} {load}", lambda *_: df)
+    return normalize.Normalized(keep("statements", n.statements), keep("types", n.types), n.rejects)
+
+
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The first delivery at version 1 and the second, by keys, at 2; and the types of both."""
     types = _shop(spark, sf_dir, 1).types.unionByName(_shop(spark, sf_dir, 2).types).dropDuplicates(["model", "node_id", "type_uri"])
@@ -369,7 +372,7 @@ def delta_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record by its leaves, at both versions, after the second delivery was put on the first."""
     one, two = _two(spark, sf_dir)
     history, _ = delta.put(normalize.stamped(one, 1), two, 2, ITEMS)
-    history = durable(history)
+    history = stored(history)
     parts = []
     for v in (1, 2):
         rows = traverse.located(reads.as_of(history, v)).filter(F.col("object_kind") != BNODE)

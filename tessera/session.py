@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,30 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as a Parquet table into the shared folder and reads it back: as durable() does, but later reads take the
+    columns and rows that they need alone, and it is compressed. The table is deleted when Python ends."""
+    spark = df.sparkSession
+    folder = scratch(spark, "table")
+    if not _STORED:
+        atexit.register(_drop_stored)
+    _STORED.append((spark, folder))
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def _drop_stored() -> None:
+    for spark, folder in _STORED:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may have ended; its folder is the cluster's to clean
+            shutil.rmtree(folder.removeprefix("file:"), ignore_errors=True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's name below the shared one."""
     return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
