@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DEFAULT_MODEL, LITERAL, OPEN_END
+from ..model import DEFAULT_MODEL, LITERAL, OPEN_END, homed
 from .normalize import nodes
 
 
@@ -31,7 +31,8 @@ def end(statements: DataFrame, which: Column, version: int | Column) -> DataFram
 
 def deprecate_statements(statements: DataFrame, keys: DataFrame, version: int) -> DataFrame:
     """Ends the statements with one of the keys (stmt_key); they can be written again, as only open rows count as known."""
-    marked = statements.join(keys.select("stmt_key").distinct().withColumn("_hit", F.lit(True)), "stmt_key", "left")
+    by = [*homed(statements, keys), "stmt_key"]
+    marked = statements.join(keys.select(by).distinct().withColumn("_hit", F.lit(True)), by, "left")
     return end(marked, F.coalesce("_hit", F.lit(False)), version).drop("_hit")
 
 
@@ -41,16 +42,19 @@ def deprecate_model(statements: DataFrame, model: str, version: int) -> DataFram
 
 def deprecate_records(statements: DataFrame, records: DataFrame, version: int | Column) -> DataFrame:
     """Ends all of the listed records (model, record_id); unknown ones are skipped."""
-    listed = records.select("model", "record_id").distinct().withColumn("_hit", F.lit(True))
-    return end(statements.join(listed, ["model", "record_id"], "left"), F.coalesce("_hit", F.lit(False)), version).drop("_hit")
+    keys = [*homed(statements, records), "model", "record_id"]
+    listed = records.select(keys).distinct().withColumn("_hit", F.lit(True))
+    return end(statements.join(listed, keys, "left"), F.coalesce("_hit", F.lit(False)), version).drop("_hit")
 
 
 def missing_records(statements: DataFrame, types: DataFrame, incoming: DataFrame, type_uri: str, models: DataFrame) -> DataFrame:
     """Records of a class with open statements, in the models (model) written to, that the delivery lacks."""
-    of_class = types.filter(F.col("type_uri") == type_uri).select("model", F.col("node_id").alias("record_id")).distinct()
-    stored = statements.filter(F.col("valid_to") == OPEN_END).select("model", "record_id").distinct()
-    stored = stored.join(of_class, ["model", "record_id"], "left_semi").join(models.select("model").distinct(), "model", "left_semi")
-    return stored.join(incoming.select("model", "record_id").distinct(), ["model", "record_id"], "left_anti")
+    own = homed(statements, types, incoming)
+    keys = [*own, "model", "record_id"]
+    of_class = types.filter(F.col("type_uri") == type_uri).select(*own, "model", F.col("node_id").alias("record_id")).distinct()
+    stored = statements.filter(F.col("valid_to") == OPEN_END).select(keys).distinct()
+    stored = stored.join(of_class, keys, "left_semi").join(incoming.select(keys).distinct(), keys, "left_anti")
+    return stored.join(F.broadcast(models.select("model").distinct()), "model", "left_semi")
 
 
 def deprecated(before: DataFrame, after: DataFrame) -> DataFrame:
