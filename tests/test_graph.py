@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import sip_2_4
-from tessera.model import BNODE, LITERAL, OPEN_END, RAW, RDF_TYPE, RESOURCE, STATEMENT
+from tessera.model import BNODE, HOME, LITERAL, OPEN_END, RAW, RDF_TYPE, RESOURCE, STATEMENT
 from tessera.operators import delta, maintain, normalize, reads, traverse
 from tessera.operators.store import Store
 from tessera.session import durable
@@ -71,6 +71,25 @@ def test_changes_lead_from_old_to_new_and_classify_once(spark, schema) -> None:
     assert leaf_lines(reads.as_of(after, 1)) == leaf_lines(old)
 
 
+def change_lines(rows):  # noqa: ANN001, ANN201
+    return sorted(map(repr, rows.select("model", "record_id", "step", "state", "old.stmt_key", F.col("new.stmt_key").alias("k")).collect()))
+
+
+@pytest.mark.parametrize("large", [0, 10**6])
+@pytest.mark.parametrize("schema", [delta.ContentSchema(), delta.ContentSchema(keys=((P + "item", P + "key"),), value=(P + "item", P + "val"))])
+def test_changes_are_the_same_where_statements_are_spread_by_home(spark, schema, large, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(delta, "LARGE", large)
+    r = random.Random(9)
+    names = [f"http://r/{k}" for k in range(25)]
+    old, new = (normalize.normalize(raw(spark, [x for n in names[:m] for x in _record(r, n)]), load).statements for load, m in (("a", 25), ("b", 22)))
+    old, new = durable(old), durable(new)
+    want = delta.changes(old, new, schema)
+    home = lambda df: df.withColumn(HOME, F.ascii(F.substring("record_id", -1, 1)).cast("bigint")).repartition(4, HOME)
+    found = delta.changes(home(old), home(new), schema)
+    assert change_lines(found.rows) == change_lines(want.rows)
+    assert sorted(map(repr, found.nodes.drop(HOME).collect())) == sorted(map(repr, want.nodes.select("model", "record_id", "old_node", "new_node").collect()))
+
+
 def test_same_delivery_again_changes_nothing(spark) -> None:  # noqa: ANN001
     rows = [("http://r/1", "http://r/1", "p", "v", None), ("http://r/1", "http://r/1", "item", "_b", 1), ("http://r/1", "_b", "key", "k", None)] * 2
     one, two = (normalize.normalize(raw(spark, rows), x).statements for x in "ab")

@@ -15,6 +15,7 @@ SF = next(p for p in (Path("/root/testdata/sf0.001"), Path("/root/testdata/sf0.0
 
 #: The number of exchanges besides those of the tables' rows: a few counts are summed up by one.
 EXCHANGES = {
+    "delta_states": 1,
     "record_identifier": 0,
     "level_nodes": 0,
     "new_records": 0,
@@ -36,6 +37,7 @@ def test_statements_are_neither_stored_nor_moved(spark, name, monkeypatch) -> No
     monkeypatch.setattr(session, "stored", refuse)
     monkeypatch.setattr("tessera.plans.graph.stored", refuse, raising=False)
     monkeypatch.setattr("tessera.operators.traverse.stored", refuse, raising=False)
+    monkeypatch.setattr("tessera.operators.delta.stored", refuse, raising=False)
     monkeypatch.setattr("tessera.sinks.xml.stored", refuse, raising=False)
     plan = entry.queries()[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
     moved = [x for x in re.findall(r"Exchange hashpartitioning\((.*)", plan) if "REPARTITION_BY" not in x]
