@@ -15,6 +15,7 @@ SF = next(p for p in (Path("/root/testdata/sf0.001"), Path("/root/testdata/sf0.0
 
 #: The number of exchanges besides those of the tables' rows: a few counts are summed up by one.
 EXCHANGES = {
+    "delta_complete": 2,
     "flat_values_exact": 0,
     "changeset_counts": 1,
     "cs_value_modified": 1,
