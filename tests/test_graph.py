@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import sip_2_4
 from tessera.model import BNODE, HOME, LITERAL, OPEN_END, RAW, RDF_TYPE, RESOURCE, STATEMENT
-from tessera.operators import delta, maintain, normalize, reads, traverse
+from tessera.operators import delta, delta_home, maintain, normalize, reads, traverse
 from tessera.operators.store import Store
 from tessera.session import durable
 from tessera.sinks import rdf, statement_json, xml
@@ -90,6 +91,25 @@ def test_changes_are_the_same_where_statements_are_spread_by_home(spark, schema,
     assert sorted(map(repr, found.nodes.drop(HOME).collect())) == sorted(map(repr, want.nodes.select("model", "record_id", "old_node", "new_node").collect()))
 
 
+@pytest.mark.parametrize("large", [0, 10**6])
+def test_states_are_counted_where_the_statements_are(spark, large, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(delta, "LARGE", large)
+    r = random.Random(9)
+    names = [f"http://r/{k}" for k in range(25)]
+    old, new = (durable(normalize.normalize(raw(spark, [x for n in names for x in _record(r, n)]), load).statements) for load in "ab")
+    home = lambda df: df.withColumn(HOME, F.ascii(F.substring("record_id", -1, 1)).cast("bigint")).repartition(4, HOME)
+    for side in (0, 1):
+        rows = delta.unsettled(home(old), home(new), side).groupBy(HOME, "stmt_key").agg(F.sum("states").alias("n"), F.sum("settled").alias("settled")).collect()
+        keys = [x for x in rows if x.stmt_key is not None]
+        assert all(x.n == 1 for x in keys)
+        assert len(keys) + sum(x.settled for x in rows) == delta.sides(old, new).filter(F.col("side") == side).count()
+        assert large == 0 or not keys  # nothing else is shuffled
+    rows = [(1, "a", 0), (1, "a", 1), (1, "b", 0), (2, "a", 0), (2, "a", 1), (2, "a", 1)]
+    batch = pa.RecordBatch.from_arrays(list(map(pa.array, zip(*rows))), names=["home", "stmt_key", "states"])
+    found = [tuple(x.values()) for cut in range(6) for b in delta_home.unsettled(iter([batch.slice(0, cut), batch.slice(cut)])) for x in b.to_pylist() if x["stmt_key"] or x["settled"]]
+    assert set(found) == {(1, "b", 0, 0), (2, "a", 2, 0), (None, None, 0, 1)} and len(found) == 18
+
+
 def test_same_delivery_again_changes_nothing(spark) -> None:  # noqa: ANN001
     rows = [("http://r/1", "http://r/1", "p", "v", None), ("http://r/1", "http://r/1", "item", "_b", 1), ("http://r/1", "_b", "key", "k", None)] * 2
     one, two = (normalize.normalize(raw(spark, rows), x).statements for x in "ab")
